@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -142,25 +143,66 @@ class VectorPacker:
 class WordTokenizer:
     """Token ids by a vocabulary file whose pre-tokenizer never joins what white space parts.
 
-    Words are then coded once each and kept in a bounded table. Texts in which Python's white space differs from the
-    tokenizer's are coded whole.
+    Words are coded once each and kept in a bounded table. Where the file has the usual steps (NFC, white space as one
+    space, lower case; a pattern, then byte-level characters), plain words are cut into the pattern's pieces here and
+    only new pieces go to the model; all other words go through the whole tokenizer. Texts in which Python's white space
+    differs from the tokenizer's are coded whole.
     """
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 700_000):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.pieces = keep, {}, {}
+        told = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.pattern = None
+        if steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0].get("invert") and cuts[0].get("behavior") == "Removed" and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex"):
+            self.pattern = regex.compile(cuts[0]["pattern"]["Regex"])
+            self.plain = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+            self.model = self.tokenizer.model
+            own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            rest = [b for b in range(256) if b not in own]
+            # Bytes without a sign of their own are shown as characters from 256 on.
+            self.signs = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join([self.signs[b] for b in piece.encode()])
+        return np.array([x.id for x in self.model.tokenize(piece)], "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) > self.keep:
+            self.known.clear()
+        if len(self.pieces) > self.keep:
+            self.pieces.clear()
+        odd = []
+        for w in words:
+            if w in self.known:
+                continue
+            if self.pattern is None or not self.plain.fullmatch(w):
+                odd.append(w)
+                continue
+            parts = self.pattern.findall(w.lower())
+            for p in parts:
+                if p not in self.pieces:
+                    self.pieces[p] = self._piece(p)
+            self.known[w] = self.pieces[parts[0]] if len(parts) == 1 else b"".join([self.pieces[p] for p in parts])
+        odd = list(dict.fromkeys(odd))
+        self.known.update(zip(odd, self._encode(odd), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         out = []
@@ -172,14 +214,17 @@ class WordTokenizer:
             try:
                 out.append(b"".join(map(self.known.__getitem__, words)))
             except KeyError:
-                if len(self.known) > self.keep:
-                    self.known.clear()
-                new = list({w for w in words if w not in self.known})
-                self.known.update(zip(new, self._encode(new), strict=True))
+                self._learn(words)
                 out.append(b"".join(map(self.known.__getitem__, words)))
         return out
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, which may run many tasks."""
+    return WordTokenizer(path)
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -198,7 +243,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId() << 32
-        words, packer = WordTokenizer(tokenizer_path), VectorPacker(limits)
+        words, packer = word_tokenizer(tokenizer_path), VectorPacker(limits)
         held: dict[int, list] = {}
         end = np.array([end_id], "<u4").tobytes()
         number = 0
