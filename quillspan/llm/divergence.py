@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.llm.common import materialize
+
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "line", "point", "mark", "other")
 
@@ -135,7 +137,7 @@ def references(docs: DataFrame, settings: Settings = Settings()) -> References:
         yield flush()
 
     counted = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(count, "lang string, kind int, item string, n long")
-    counted = counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counted = materialize(counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "words")
     rank = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
     # The histogram of a language: its first words, and all its words as one sum.
     sums = counted.groupBy("lang", "kind").agg(F.sum("n").alias("n")).filter(f"kind = 1 OR n >= {settings.min_language_words}")
