@@ -48,13 +48,15 @@ def find_numbers(text: str, skip_small: bool = False) -> list[Number]:
         if (before.isalpha() or before == "_") or (after.isalpha() and not unit) or re.match(r"-[A-Za-z]", plain[m.end("digits") :]) or re.search(r"[A-Za-z]-$", plain[max(0, first - 2) : first]):
             continue
         if unit in ("k", "m", "b") and not m["money"]:
+            if after.isalpha():
+                continue
             unit, last = "", m.end("digits")
         value = float(digits.replace(",", ""))
         whole = "." not in digits
         bare = not unit and not m["money"]
         if bare and whole and "," not in digits and YEAR.fullmatch(digits):
             continue
-        if bare and whole and value <= 31 and MONTH.search(plain[max(0, start - 12) : start]):
+        if bare and whole and value <= 31 and MONTH.search(plain[max(0, first - 12) : first]):
             continue
         if skip_small and bare and whole and value <= 12:
             continue

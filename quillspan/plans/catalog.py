@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as T
 from quillspan.operators import answers, chunking, retrieval
 from quillspan.sources import html
+from quillspan.streaming import ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 STOP = ", ".join(f"'{w}'" for w in T.STOP)
@@ -262,6 +263,11 @@ both("split_overlap", "SELECT doc_id FROM {labels} INTERSECT SELECT doc_id FROM
 both("unmatched_docs", "SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}")
 
 
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return ingest.latency_windows(table(spark, sf_dir, "events"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
