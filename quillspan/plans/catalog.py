@@ -263,6 +263,48 @@ both("split_overlap", "SELECT doc_id FROM {labels} INTERSECT SELECT doc_id FROM
 both("unmatched_docs", "SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}")
 
 
+both("grader_numbers", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS n, len(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS different FROM {documents}",
+     "SELECT doc_id, CAST(size(regexp_extract_all(text, '[0-9]+', 0)) AS BIGINT) AS n, CAST(size(array_distinct(regexp_extract_all(text, '[0-9]+', 0))) AS BIGINT) AS different FROM {documents}")
+both("question_languages", "SELECT conv_id, turn, CASE WHEN lower(text) LIKE 'the %' OR lower(text) LIKE '% the %' THEN 1 ELSE 0 END AS english, CASE WHEN lower(text) LIKE 'der %' OR lower(text) LIKE '% der %' THEN 1 ELSE 0 END AS german FROM {conversations} WHERE role = 'user'")
+both("bootstrap_ci", "WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, quality FROM {labels}), n AS (SELECT count(*) AS n FROM l), d AS (SELECT r.range AS sample, CAST(('0x' || substr(md5(CAST(r.range AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8)) AS BIGINT) % n AS pick FROM range(100) r, l, n), m AS (SELECT sample, avg(quality) AS mean FROM d JOIN l ON l.k = d.pick GROUP BY sample) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m",
+     "WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n, quality FROM {labels}), d AS (SELECT sample, CAST(conv(substr(md5(concat(sample, ':', k)), 1, 8), 16, 10) AS BIGINT) % n AS pick FROM l LATERAL VIEW explode(sequence(0, 99)) s AS sample), m AS (SELECT sample, avg(quality) AS mean FROM d JOIN l ON l.k = d.pick GROUP BY sample) SELECT round(percentile(mean, 0.025), 6) AS low, round(percentile(mean, 0.975), 6) AS high FROM m")
+both("citation_match", "WITH g AS (SELECT l_orderkey AS id, l_linenumber AS page FROM {lineitem} WHERE l_returnflag = 'R'), c AS (SELECT l_orderkey AS id, l_linenumber AS page FROM {lineitem} WHERE l_linestatus = 'F'), b AS (SELECT id, count(*) AS cited FROM c GROUP BY id), h AS (SELECT g.id, count(*) AS gold, count(c.page) AS hits FROM g LEFT JOIN c ON g.id = c.id AND g.page = c.page GROUP BY g.id) SELECT h.id, round(CAST(hits AS DOUBLE) / gold, 6) AS recall, round(coalesce(CAST(hits AS DOUBLE) / cited, 0), 6) AS prec, CASE WHEN hits > 0 THEN 1 ELSE 0 END AS any_match FROM h LEFT JOIN b ON b.id = h.id")
+both("recall_at_k", "WITH r AS (SELECT o_custkey AS q, o_orderkey AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END AS gold FROM {orders}) SELECT q, sum(gold) AS gold, round(sum(CASE WHEN rank <= 3 THEN gold ELSE 0 END) / CAST(sum(gold) AS DOUBLE), 6) AS recall3, max(CASE WHEN rank <= 3 THEN gold ELSE 0 END) AS hit3 FROM r GROUP BY q HAVING sum(gold) > 0".replace("sum(gold) AS gold", "CAST(sum(gold) AS BIGINT) AS gold"))
+both("embedding_labels", "SELECT label, count(*) AS n FROM {embeddings} GROUP BY label")
+both("previous_turn", "SELECT c.conv_id, c.turn, c.role, p.role AS asked_by FROM {conversations} c LEFT JOIN {conversations} p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
+both("filing_years", _FILINGS + ", p AS (SELECT company, min(year) AS first_year, max(year) AS last_year, count(*) AS years FROM y GROUP BY company) SELECT company, first_year, last_year, years, CASE WHEN years >= 5 THEN 'income statement' END AS kind FROM p")
+
+
+@query()
+def fuzzy_company(spark, sf_dir):
+    """The best Ratcliff-Obershelp match of each misspelt name among the nations; the first wins ties."""
+    import pandas as pd
+
+    names = sorted(r[0] for r in table(spark, sf_dir, "nation").select("n_name").limit(10_000).collect())
+
+    def best(batches):
+        from difflib import SequenceMatcher
+
+        for b in batches:
+            rows = []
+            for i, name in zip(b["id"], b["name"], strict=True):
+                score, at = max((SequenceMatcher(None, name, n).ratio(), -k) for k, n in enumerate(names))
+                rows.append((i, name, names[-at], round(score, 6)))
+            yield pd.DataFrame(rows, columns=["id", "name", "company", "score"])
+
+    asked = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    asked = asked.select(F.col("s_suppkey").alias("id"), F.concat(F.lower(F.substring("n_name", 1, 3)), F.substring("n_name", 4, 20)).alias("name"))
+    return asked.mapInPandas(best, "id long, name string, company string, score double")
+
+
+@query()
+def leakage(spark, sf_dir):
+    """How many right answers still pass with their number made wrong by 2, 5, 10 and 25 %."""
+    rows = _QUERIES["derived_one_step"](spark, sf_dir).select("company", "year", "total", F.explode(F.array(*(F.lit(x) for x in (1.0, 1.02, 1.05, 1.1, 1.25)))).alias("f"))
+    cases = rows.select(F.xxhash64("company", "year", "f").alias("id"), "f", F.format_string("The total was %d.", (F.col("total") * F.col("f")).cast("long")).alias("answer"), F.array(F.format_string("Total %d", "total")).alias("passages"), F.lit("").alias("question"), F.lit(False).alias("truncated"))
+    return answers.verify_answers(cases.drop("f")).join(cases.select("id", "f"), "id").groupBy("f").agg(F.count("*").alias("n"), F.count_if("ok").alias("passed"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     return ingest.latency_windows(table(spark, sf_dir, "events"))
