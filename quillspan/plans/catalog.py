@@ -310,6 +310,27 @@ def event_windows(spark, sf_dir):
     return ingest.latency_windows(table(spark, sf_dir, "events"))
 
 
+@query(_BM25 + """, e AS (SELECT b.item_id, coalesce(max(score), 0) < 150 AS widened FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id GROUP BY 1)
+SELECT item_id, doc_id, score, rank, widened FROM r JOIN e USING (item_id) WHERE rank <= CASE WHEN widened THEN 20 ELSE 10 END""")
+def widen_once(spark, sf_dir):
+    """Questions whose evidence is not sufficient are searched once more, twice as deep; the others stay as they are."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    gate = gate_verdict(spark, sf_dir).select("item_id", "widen")
+    again = items.join(gate.filter("widen"), "item_id", "left_semi")
+    first = retrieval.bm25(docs, items).join(gate.filter("NOT widen"), "item_id", "left_semi").withColumn("widened", F.lit(False))
+    return first.unionByName(retrieval.bm25(docs, again, top=20).withColumn("widened", F.lit(True)))
+
+
+@query("SELECT n_nationkey, n_name || ' & Co' AS name, CAST(2000 + n_nationkey AS VARCHAR) AS year FROM nation")
+def xbrl_facts(spark, sf_dir):
+    page = F.concat(F.lit('<ix:nonNumeric id="a" name="dei:EntityRegistrantName"><b>'), "n_name", F.lit('</b>  &amp; Co</ix:nonNumeric><p><ix:nonNumeric name="dei:DocumentFiscalYearFocus" contextRef="c">'), (F.col("n_nationkey") + 2000).cast("string"), F.lit("</ix:nonNumeric>"))
+    facts = html.xbrl_facts(page)
+    return table(spark, sf_dir, "nation").select("n_nationkey", facts["EntityRegistrantName"].alias("name"), facts["DocumentFiscalYearFocus"].alias("year"))
+
+
+both("unanswerable", "WITH n AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS k, count(*) OVER () AS n FROM {nation}) SELECT a.n_name AS company, b.n_name AS outside, replace('What did ' || a.n_name || ' report?', a.n_name, b.n_name) AS question FROM n a JOIN n b ON b.k = (a.k + 1) % a.n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SKIP = {"script", "style", "head", "noscript", "template", "ix:header"}
@@ -91,3 +92,19 @@ def read_pages(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "page", "text"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, page int, text string")
+
+
+FACTS = ("EntityRegistrantName", "DocumentType", "DocumentFiscalYearFocus", "TradingSymbol")
+ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def xbrl_facts(page: Column) -> Column:
+    """The cover facts of an inline filing, by name: tags stripped, common entities decoded, white space as one blank."""
+
+    def fact(name: str) -> Column:
+        text = F.regexp_replace(F.regexp_extract(page, rf'(?s)<ix:\w+[^>]*name="dei:{name}"[^>]*>(.*?)</ix:', 1), "<[^>]*>", " ")
+        for entity, sign in ENTITIES:
+            text = F.replace(text, F.lit(entity), F.lit(sign))
+        return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+    return F.map_from_arrays(F.array(*map(F.lit, FACTS)), F.array(*map(fact, FACTS)))
