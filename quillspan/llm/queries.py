@@ -50,7 +50,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), line_dedup.Settings(least=1))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
