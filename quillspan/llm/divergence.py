@@ -21,10 +21,9 @@ CLASSES = ("lower", "upper", "digit", "space", "line", "point", "mark", "other")
 class Settings:
     """min_words guards the distances: shorter texts are judged by the counts alone. slack / sqrt(words) is added to the
     limits, as a short sample of the reference itself is that far from it by chance. common: words of a histogram.
-    languages: how many references at most, those of the most words (their number bounds what is broadcast)."""
+    min_language_words: words that a language needs for a reference; texts of others are judged by the counts alone."""
 
     common: int = 48
-    languages: int = 200
     min_language_words: int = 2000
     min_words: int = 50
     max_class_distance: float = 0.2
@@ -140,13 +139,13 @@ def references(docs: DataFrame, settings: Settings = Settings()) -> References:
     counted = materialize(counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "words")
     rank = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
     # The histogram of a language: its first words, and all its words as one sum.
-    sums = counted.groupBy("lang", "kind").agg(F.sum("n").alias("n")).filter(f"kind = 1 OR n >= {settings.min_language_words}")
-    wide = [r["lang"] for r in sums.filter("kind = 0").orderBy(F.desc("n"), "lang").limit(settings.languages).collect()]
-    first = counted.filter(F.col("lang").isin(wide)).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= settings.common)
+    sums = counted.filter("kind = 0").groupBy("lang").agg(F.sum("n").alias("n")).filter(f"n >= {settings.min_language_words}")
+    total = {r["lang"]: r["n"] for r in sums.collect()}
+    wide = counted.sparkSession.createDataFrame([(x,) for x in total], "lang string")
+    first = counted.join(F.broadcast(wide), "lang", "left_semi").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= settings.common)
     top = {}
     for r in first.collect():
         top.setdefault(r["lang"], {}).setdefault(r["kind"], []).append((r["rank"], r["item"], r["n"]))
-    total = {(r["lang"], r["kind"]): r["n"] for r in sums.collect()} if wide else {}
     names = sorted(top)
     classes, words, shares = np.zeros((len(names), len(CLASSES))), [], np.zeros((len(names), settings.common + 1))
     for k, name in enumerate(names):
@@ -156,7 +155,7 @@ def references(docs: DataFrame, settings: Settings = Settings()) -> References:
         own = sorted(top[name][0])
         words.append({item.encode("utf-8", "replace"): i for i, (_, item, _) in enumerate(own)})
         for i, (_, _, n) in enumerate(own):
-            shares[k, i] = n / total[name, 0]
+            shares[k, i] = n / total[name]
         shares[k, -1] = 1 - shares[k, :-1].sum()
     return References(names, classes, words, np.clip(shares, 0, 1))
 
@@ -165,8 +164,9 @@ FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def judge(text: str, lang: str | None, refs: References, s: Settings) -> tuple:
-    """FIELDS of one text. The distances are to its own language, and where that is unknown or they are too large, to
-    whichever language is nearest, so a wrong language mark alone rejects nothing."""
+    """FIELDS of one text. The distances are to its own language, and where none is stated or they are too large, to
+    whichever language is nearest, so a wrong language mark alone rejects nothing. A text whose stated language has no
+    reference is judged by the counts alone."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
@@ -177,7 +177,7 @@ def judge(text: str, lang: str | None, refs: References, s: Settings) -> tuple:
     failed = n < 20 or 100 * repeats > 30 * n
     classes = word = nearest = None
     kept = not failed
-    if kept and n >= s.min_words and refs.names:
+    if kept and n >= s.min_words and refs.names and (lang is None or lang in refs.names):
         p = class_counts(raw).astype(float)
         a = js_distance(p / p.sum(), refs.classes)
         found = Counter(raw.lower().split())
@@ -203,7 +203,8 @@ def quality_rules(docs: DataFrame, settings: Settings = Settings(), refs: Refere
 
     A null text is empty: it has no words, so it fails the base rule. A null doc_id is kept as it is, a null lang is
     judged by the nearest language; repeated rows are judged each; an empty table gives no rows; other columns are
-    ignored. Texts of fewer than min_words words, and all where no language has a reference, are judged by the counts.
+    ignored. Texts of fewer than min_words words, and those whose stated language has no reference, are judged by the
+    counts; so are all where no language has one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(refs or references(docs, settings))
 
