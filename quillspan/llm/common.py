@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -32,7 +33,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and nothing will read again, and let Spark drop the exchanges behind them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    drop_exchanges(tables[0].sparkSession)
+
+
+def drop_exchanges(spark: SparkSession) -> None:
+    """Files of exchanges go when the driver's garbage collector finds their plans unused; this has it look now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def id_hash(column: str) -> Column:
