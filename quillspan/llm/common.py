@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,9 +19,12 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Only in local mode, where there is one machine, and only
+    where that is unset, it is a temporary folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="quillspan-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
@@ -75,3 +79,21 @@ def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch, null as the empty text."""
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
+
+
+def filter_rows(docs: DataFrame, keep, columns: tuple[str, ...]) -> DataFrame:
+    """The rows of docs for which keep says so, row by row and without any exchange. keep takes the batch's lists of
+    columns and returns booleans; whatever other columns there are pass through."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = [docs.columns.index(c) for c in columns]
+    plain = docs.toDF(*names)
+    schema = to_arrow_schema(plain.schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = pa.array(keep(*(b.column(k).to_pylist() for k in at)), pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(b.filter(mask).columns, schema, strict=True)], schema=schema)
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

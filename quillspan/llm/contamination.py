@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.common import filter_rows
+
 Q = 8  # a q-gram is exactly one 64-bit word
 BITS = 22
 
@@ -203,3 +205,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
         found = found.mapInArrow(run, found.schema)
     size = F.size("item_ids")
     return found.select("doc_id", (size > 0).alias("contaminated"), size.cast("long").alias("n_items"), "item_ids", "edits")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns; each row is judged by itself, whatever its id."""
+    for index in indexes(benchmark, settings):
+        shared = docs.sparkSession.sparkContext.broadcast((index.ids, index.items, index.rate))
+        held: dict[int, Index] = {}
+
+        def keep(texts: list, shared=shared, held=held) -> list[bool]:
+            own = held.get(0) or held.setdefault(0, Index(*shared.value))
+            return [not m for m in matches([normalise(x) for x in texts], own, settings.piece)]
+
+        docs = filter_rows(docs, keep, ("text",))
+    return docs

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import materialize
+from quillspan.llm.common import filter_rows, materialize
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "line", "point", "mark", "other")
@@ -217,3 +217,9 @@ def quality_rules(docs: DataFrame, settings: Settings = Settings(), refs: Refere
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double, nearest string"
     return docs.select("doc_id", "text", "lang").mapInArrow(run, schema)
+
+
+def keep_rows(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns; each row is judged by itself, whatever its id."""
+    shared = docs.sparkSession.sparkContext.broadcast(references(docs, settings))
+    return filter_rows(docs, lambda texts, langs: [judge(t or "", g, shared.value, settings)[6] for t, g in zip(texts, langs, strict=True)], ("text", "lang"))
