@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import materialize
+from quillspan.llm.common import materialize, release
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -71,45 +71,79 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(queries: np.ndarray, fps: np.ndarray, radius: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (query, fingerprint) at a distance of radius or less; both are n x w words.
+def _hits(planes: int, plane, over: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of 64 distances that are counted at once: where they stand, and which bits of them are within the radius.
 
-    All distances of a block are counted at once by carry-save counters, one word for each binary digit of 64 counts;
-    counts that exceed what the digits hold stay marked, and a block is abandoned when all of its counts exceed the radius.
+    plane(b, at) gives bit b of the differences of the words at; over: bits that do not count. Carry-save counters add
+    plane after plane, one word for each binary digit; counts that exceed what the digits hold stay marked, and a word is
+    abandoned when all of its counts exceed the radius.
     """
-    planes, digits = bit_planes(fps), max(1, (radius + 1).bit_length())
-    valid = np.full(planes.shape[1], FULL)
+    digits = max(1, (radius + 1).bit_length())
+    at = np.flatnonzero(over != FULL)
+    over, count = over[at], np.zeros((digits, len(at)), np.uint64)
+    for b in range(planes):
+        if not len(at):
+            break
+        carry = plane(b, at)
+        for d in range(digits):
+            count[d], carry = count[d] ^ carry, count[d] & carry
+        over |= carry
+        if b % 8 == 7 or b == planes - 1:
+            # Which counts exceed the radius so far: compare digit by digit from the highest.
+            more, same = np.zeros_like(over), np.full_like(over, FULL)
+            for d in reversed(range(digits)):
+                if radius >> d & 1:
+                    same &= count[d]
+                else:
+                    more |= same & count[d]
+                    same &= ~count[d]
+            over |= more
+            alive = over != FULL
+            if not alive.all():
+                at, over, count = at[alive], over[alive], count[:, alive]
+    return at, ~over
+
+
+def _set_bits(at: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set bit of the words, which word it is of, and its place there."""
+    bits = np.unpackbits(np.ascontiguousarray(hits).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    r, j = np.nonzero(bits)
+    return at[r], j
+
+
+def within(queries: np.ndarray, fps: np.ndarray, radius: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (query, fingerprint) at a distance of radius or less; both are n x w words."""
+    planes = bit_planes(fps)
+    width = planes.shape[1]
+    valid = np.full(width, FULL)
     if len(fps) % 64:
         valid[-1] = np.uint64((1 << (len(fps) % 64)) - 1)
-    for at in range(0, len(queries), step):
-        q = queries[at : at + step]
-        rows, words = (x.ravel() for x in np.meshgrid(np.arange(len(q)), np.arange(planes.shape[1]), indexing="ij"))
-        count = np.zeros((digits, len(rows)), np.uint64)
-        over = ~valid[words]
-        for b in range(len(planes)):
-            carry = planes[b][words] ^ np.where((q[rows, b >> 6] >> np.uint64(b & 63)) & np.uint64(1), FULL, np.uint64(0))
-            for d in range(digits):
-                count[d], carry = count[d] ^ carry, count[d] & carry
-            over |= carry
-            if b % 8 == 7:
-                # Which counts exceed the radius so far: compare digit by digit from the highest.
-                more, same = np.zeros_like(over), np.full_like(over, FULL)
-                for d in reversed(range(digits)):
-                    if radius >> d & 1:
-                        same &= count[d]
-                    else:
-                        more |= same & count[d]
-                        same &= ~count[d]
-                over |= more
-                alive = over != FULL
-                if not alive.all():
-                    rows, words, over, count = rows[alive], words[alive], over[alive], count[:, alive]
-                if not len(rows):
-                    break
-        if len(rows):
-            hits = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            r, j = np.nonzero(hits)
-            yield at + rows[r], words[r] * 64 + j
+    for first in range(0, len(queries), step):
+        q = queries[first : first + step]
+        plane = lambda b, at: planes[b][at % width] ^ np.where((q[at // width, b >> 6] >> np.uint64(b & 63)) & np.uint64(1), FULL, np.uint64(0))  # noqa: B023, E731
+        word, j = _set_bits(*_hits(len(planes), plane, np.tile(~valid, len(q)), radius))
+        yield first + word // width, (word % width) * 64 + j
+
+
+def neighbours(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within the radius of many small groups (of at most 64 fingerprints) at once: each fingerprint is
+    compared with the one d places further on, for all places of all groups, by shifting the bit planes by d."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, e) for s, e in zip(starts, ends, strict=True))]).astype(np.int64)
+    left = np.repeat(ends, ends - starts) - rows  # members from here to the group's end
+    size = np.repeat(ends - starts, ends - starts)
+    for d in range(1, int((ends - starts).max(initial=1))):
+        keep = size > d
+        rows, left, size = rows[keep], left[keep], size[keep]
+        planes = bit_planes(fps[rows])
+        ahead = np.concatenate([planes[:, 1:], np.zeros((len(planes), 1), np.uint64)], axis=1)
+        shift = np.uint64(d)
+        differs = planes ^ ((planes >> shift) | (ahead << (np.uint64(64) - shift)))
+        over = np.packbits(np.append(left <= d, np.ones(-len(left) % 64, bool)), bitorder="little").view(np.uint64)
+        word, j = _set_bits(*_hits(len(planes), lambda k, at: differs[k][at], over, radius))  # noqa: B023
+        a.append(rows[word * 64 + j])
+        b.append(rows[word * 64 + j + d])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -132,14 +166,9 @@ def group_links(nodes: np.ndarray, fps: np.ndarray, radius: int, side: np.ndarra
     side: 0 and 1 for the two tiles of a divided group, whose members are only compared with the other tile's.
     """
     n = len(fps)
-    if n <= 24:
-        a, b = np.triu_indices(n, 1)
-        near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= radius
-        a, b = a[near], b[near]
-    else:
-        one, two = (np.arange(n),) * 2 if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        found = list(within(fps[one], fps[two], radius))
-        a, b = (np.concatenate([i[x[k]] for x in found] or [np.zeros(0, np.int64)]) for k, i in ((0, one), (1, two)))
+    one, two = (np.arange(n),) * 2 if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    found = list(within(fps[one], fps[two], radius))
+    a, b = (np.concatenate([i[x[k]] for x in found] or [np.zeros(0, np.int64)]) for k, i in ((0, one), (1, two)))
     root = _roots(a, b, n)
     off = np.flatnonzero(root != np.arange(n))
     return nodes[off], nodes[root[off]]
@@ -165,11 +194,13 @@ def keyed_links(keyed: DataFrame, key: list[str], radius: int, tile: int = 4096)
         def compare(keys: np.ndarray, starts: np.ndarray, own: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             ends = np.append(starts[1:], len(keys))
-            two = starts[ends - starts == 2]
-            near = two[np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1) <= radius]
-            a.append(nodes[near])
-            b.append(nodes[near + 1])
-            for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
+            tiles = keys[starts, -2] != keys[starts, -1]
+            small = (ends - starts > 1) & (ends - starts <= 64) & ~tiles
+            x, y = neighbours(fps, starts[small], ends[small], radius)
+            a.append(nodes[x])
+            b.append(nodes[y])
+            large = (ends - starts > 1) & ~small
+            for s, e in zip(starts[large], ends[large], strict=True):
                 t, u = keys[s, -2:]
                 x, y = group_links(nodes[s:e], fps[s:e], radius, None if t == u else (own[s:e] == u).astype(np.int8))
                 a.append(x)
@@ -322,7 +353,16 @@ def similar_pairs(docs: DataFrame, overlap: float = 0.8, size: int = 5, slots: i
     x, y = (found.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     shared = F.size(F.array_intersect("sa", "sb"))
     good = shared * (1 + t) >= t * (F.size("sa") + F.size("sb")) - 1e-9
-    return sets.select("doc_id", "node"), pairs.join(x, "a").join(y, "b").filter(good).select("a", "b")
+    links = materialize(pairs.join(x, "a").join(y, "b").filter(good).select("a", "b"), "links")
+    release(pairs, found)
+    return sets.select("doc_id", "h", "node"), links
+
+
+def _similar_rows(docs: DataFrame, size: int, overlap: float) -> DataFrame:
+    """doc_id, h (a hash of the text) and root, the same for all rows of a group."""
+    rows, pairs = similar_pairs(docs, overlap, size)
+    labels = components(pairs).withColumnRenamed("node", "at")
+    return rows.join(labels, rows.node == labels.at, "left").select("doc_id", "h", F.coalesce("label", "node").alias("root"))
 
 
 def similar_groups(docs: DataFrame, size: int = 5, overlap: float = 0.8) -> DataFrame:
@@ -331,9 +371,36 @@ def similar_groups(docs: DataFrame, size: int = 5, overlap: float = 0.8) -> Data
     Every pair at that overlap is found, and each link is verified. Texts without words are one group; nulls, repeats
     and empty tables are as in near_groups.
     """
-    rows, pairs = similar_pairs(docs, overlap, size)
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    labels = components(pairs).withColumnRenamed("node", "at")
-    rooted = least.join(labels, least.node == labels.at, "left").select("node", "least", F.coalesce("label", "node").alias("root"))
-    found = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return rows.join(found, "node").select("doc_id", "component_id")
+    rows = materialize(_similar_rows(docs, size, overlap), "rows")
+    # Rows of a group are added up before they meet, so that a large group costs one row for each task.
+    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(ids, "root").select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, size: int = 5, overlap: float = 0.8, small: int = 8 << 20) -> DataFrame:
+    """docs without all but one row of each group of similar_groups: the row with the smallest doc_id stays (a null one
+    only if there is no other), of equal ids that with the smallest hash of its text, and of repeated rows one.
+
+    Rows are told by id and text, so rows without an id, or with the same one, are judged each by itself.
+    """
+    rows = materialize(_similar_rows(docs, size, overlap), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = rows.join(first, "root").filter(order != F.col("first")).select("doc_id", "h").distinct()
+    gone = materialize(gone.select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")), "gone")
+    twice = materialize(rows.groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")), "twice")
+    release(rows)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    doc_id, text = plain[f"c{names.index('doc_id')}"], plain[f"c{names.index('text')}"]
+    own = F.xxhash64(F.coalesce(text, F.lit("")))
+
+    def met(table: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        # Rows of 16 bytes: their count bounds what is broadcast.
+        table = F.broadcast(table) if 40 * table.count() <= small else table
+        return left.join(table, doc_id.eqNullSafe(table["__gone"]) & (own == table["__h"]), how)
+
+    out = met(gone, "left_anti", plain)
+    if not twice.isEmpty():
+        out = met(twice, "left_anti", out).unionByName(met(twice, "left_semi", out).dropDuplicates([f"c{names.index(c)}" for c in ("doc_id", "text")]))
+    return out.toDF(*names)
