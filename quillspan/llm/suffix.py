@@ -12,27 +12,30 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import materialize
+from quillspan.llm.common import materialize, release
+from quillspan.llm.passages import texts_with_passages
+from quillspan.llm.suffix_hashes import minima, mix, powers, prefix_sums
 
 
 @dataclass(frozen=True)
 class Settings:
     """length: of the strings; anchor: bytes of an anchor. chunk: bytes that are hashed at once. shard: anchors that
     share a shard on average. hot: an anchor with more distinct regions is compared by the hashes of all strings about
-    it, which are counted like any other key, instead of in one shard."""
+    it, which are counted like any other key, instead of in one shard. passage: words; longer runs that other rows hold
+    too are reported."""
 
     length: int = 400
     anchor: int = 64
     chunk: int = 1 << 20
     shard: int = 3000
     hot: int = 2000
+    passage: int = 50
 
 
 # --- suffix arrays ---------------------------------------------------------------------------------------------------
@@ -221,67 +224,24 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
 
 # --- anchors -----------------------------------------------------------------------------------------------------------
 
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
-
-
-@lru_cache(maxsize=4)
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = int(BASES[which])
-    inverse = pow(base, -1, 1 << 64)
-    up, down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(b))])) for b in (base, inverse))
-    table = np.random.default_rng(7 + which).integers(1, 1 << 64, 256, np.uint64)
-    return up, down, table
-
-
-def _prefix(raw: np.ndarray, which: int, most: int) -> np.ndarray:
-    _, down, table = _powers(which, most)
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(table[raw] * down[: len(raw)], out=out[1:])
-    return out
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def window_hashes(raw: np.ndarray, length: int, which: int, most: int) -> np.ndarray:
     """A 64-bit hash of each string of the given length."""
-    p = _prefix(raw, which, most)
+    p = prefix_sums(raw, which, most)
     m = len(raw) - length + 1
-    return _mix((p[length:] - p[:m]) * _powers(which, most)[0][:m])
+    return mix((p[length:] - p[:m]) * powers(which, most)[0][:m])
 
 
 def anchors(raw: np.ndarray, settings: Settings) -> tuple[np.ndarray, ...]:
     """Places and hashes of a chunk's anchors, the regions about them, and the hashes of those."""
     n, k, most = len(raw), settings.anchor, settings.chunk
     w = settings.length - k + 1
-    p = _prefix(raw, 0, most)
-    up = _powers(0, most)[0]
+    p = prefix_sums(raw, 0, most)
+    up = powers(0, most)[0]
     m = n - k + 1
-    h = _mix((p[k:] - p[:m]) * up[:m])
-    low = np.uint64((1 << 24) - 1)
-    key = (h & ~low) | (low - np.arange(m, dtype=np.uint64))
-    blocks = np.full(-(-m // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-    blocks[:m] = key
-    blocks = blocks.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = m - w + 1
-    least = np.minimum(behind[:count], ahead[w - 1 : w - 1 + count])
-    at = np.unique((low - (least & low)).astype(np.int64))
-    # In periodic text many places tie; those are dropped that no window needs.
-    if len(at) > 2 and (h[at[1:]] == h[at[:-1]]).any():
-        keep, kept = np.ones(len(at), bool), at[0]
-        for i in range(1, len(at) - 1):
-            if h[at[i]] == h[kept] == h[at[i + 1]] and at[i + 1] - kept <= w:
-                keep[i] = False
-            else:
-                kept = at[i]
-        at = at[keep]
+    h = mix((p[k:] - p[:m]) * up[:m])
+    at = minima(h, w)
     start, end = np.maximum(at - (settings.length - k), 0), np.minimum(at + settings.length, n)
-    region = _mix((p[end] - p[start]) * up[start] + (end - start).astype(np.uint64))
+    region = mix((p[end] - p[start]) * up[start] + (end - start).astype(np.uint64))
     return h[at], start, end, region
 
 
@@ -298,7 +258,7 @@ def _chunks(n: int, settings: Settings) -> Iterator[tuple[int, int]]:
 def _keyed(docs: DataFrame) -> DataFrame:
     """k, l: 128 bits for the id and the whole text, so rows need no numbering that another run might do otherwise."""
     both = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", both.alias("text"), F.xxhash64("doc_id", both).alias("k"), F.xxhash64(F.lit(17), both, "doc_id").alias("l"))
+    return docs.select("doc_id", both.alias("text"), F.xxhash64("doc_id", both).alias("k"), F.xxhash64(F.lit(17), both, "doc_id").alias("l"), F.xxhash64(both).alias("t"))
 
 
 def _batch(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -307,8 +267,11 @@ def _batch(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.Record
 
 
 def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256, one row per row of docs (doc_id, text); with_text adds the
-    kept bytes.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and repeats_passage, one row per row of docs (doc_id, text);
+    with_text adds the kept bytes.
+
+    repeats_passage: whether the text holds a run of more than passage words that another row holds too, however few bytes
+    they have.
 
     A byte goes if a string of the given length that covers it starts anywhere else in the table, the same document
     included. Null texts are empty; rows with null ids are kept as they are; a repeated row is another occurrence, so
@@ -399,36 +362,48 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
                     yield _batch({"a": [x], "b": [y], "k": [np.full(len(x), k)], "l": [np.full(len(x), l)], "s": [s + c + np.arange(len(x))]}, kinds)
 
     # Anchors with very many different regions: all strings about them are counted by their hashes of 128 bits.
+    used = [found, known, met, regions]
     every = regions.filter("shard = -2").mapInArrow(strings, "a long, b long, k long, l long, s long")
     if known.filter(F.col("kinds") > settings.hot).isEmpty():
         hot = sharded.limit(0)
     else:
         every = materialize(every.distinct(), "strings")
+        used.append(every)
         often = every.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1")
         hot = every.join(often, ["a", "b"]).select("k", "l", "s", (F.col("s") + length).alias("e"))
     marks = met.filter("copied").select("k", "l", "s", "e").unionByName(sharded).unionByName(hot)
-    marks = marks.groupBy("k", "l").agg(F.collect_set(F.struct("s", "e")).alias("marks"))
+    # Passages: rows with the same text as another, and texts that share one with another text. Either comes as a mark
+    # without a place, so that it meets the rows in the same exchange.
+    copied = rows.groupBy("t").count().filter("count > 1").select("t", F.lit(-1).cast("long").alias("s"))
+    told = copied.unionByName(texts_with_passages(rows.select("t", "text"), settings.passage).withColumn("s", F.lit(-2).cast("long")))
+    told = rows.select("k", "l", "t").join(told, "t").select("k", "l", "s", F.col("s").alias("e"))
+    marks = marks.unionByName(told).groupBy("k", "l").agg(F.collect_set(F.struct("s", "e")).alias("marks"))
+    marks = materialize(marks, "marks")
+    release(*used)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"doc_id": i64, "n_bytes": i64, "n_removed": i64, "n_spans": i64, "kept_sha256": pa.string()} | ({"kept": pa.binary()} if with_text else {})
+        kinds = {"doc_id": i64, "n_bytes": i64, "n_removed": i64, "n_spans": i64, "kept_sha256": pa.string(), "repeats_passage": pa.bool_()} | ({"kept": pa.binary()} if with_text else {})
         for b in batches:
             out: dict[str, list] = {c: [] for c in kinds}
             for doc_id, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "marks")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                parts, at, runs = [], 0, 0
+                parts, at, runs, told = [], 0, 0, False
                 for s, e in sorted((x["s"], x["e"]) for x in found or ()):
+                    if s < 0:
+                        told |= s == -2 or len(raw.split()) > settings.passage
+                        continue
                     if s > at or not runs:
                         parts.append(raw[at:s])
                         runs += 1
                     at = max(at, e)
                 parts.append(raw[at:])
                 kept = b"".join(parts)
-                row = (doc_id, len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept)
+                row = (doc_id, len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), told, kept)
                 for c, v in zip(kinds, row, strict=False):
                     out[c].append(v)
             yield _batch(out, kinds)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats_passage boolean" + ", kept binary" * with_text
     return rows.join(marks, ["k", "l"], "left").select("doc_id", "text", "marks").mapInArrow(cut, schema)
 
 
