@@ -23,7 +23,7 @@ class Limits:
     """Of one sequence. pool: how many examples wait at most before bins are filled (memory, not quality, bounds it)."""
 
     tokens: int = 2048
-    segments: int = 256
+    segments: int = 64
     loss: int = 2048
     pool: int = 2048
 
@@ -109,8 +109,9 @@ class VectorPacker:
                 # The beginning of the longest one fills the gap; its rest goes back.
                 k = int(np.argmax(self.length[: self.n]))
                 example, start, whole, all_loss = self._pop(k)
-                length = min(whole, int(left[0]), int(left[2]))
-                loss = max(0, all_loss - (whole - length))
+                free = whole - all_loss  # what bears no loss comes first
+                length = min(whole, int(left[0]), free + int(left[2]))
+                loss = max(0, length - free)
                 if whole > length:
                     self._push(example, start + length, whole - length, min(all_loss, whole - length))
             else:
@@ -123,20 +124,34 @@ class VectorPacker:
     def finish(self) -> Iterator[Piece]:
         while self.n and (not self.cut or self.length[: self.n].sum() >= self.limits.tokens):
             yield from self._fill()
-        rest = int(self.length[: self.n].sum())
-        while rest:
-            size = 1 << (rest.bit_length() - 1)
-            at = segments = 0
-            while at < size and segments < self.limits.segments:
+        while self.n:
+            # What is left is less than one sequence: lengths are powers of two where the limits allow.
+            size = 1 << (int(self.length[: self.n].sum()).bit_length() - 1)
+            at = loss = 0
+            parts: list[list[int]] = []
+            while self.n and at < size and len(parts) < self.limits.segments and loss < self.limits.loss:
                 k = int(np.argmax(self.length[: self.n]))
                 example, start, whole, all_loss = self._pop(k)
-                length = min(whole, size - at)
+                free = whole - all_loss  # what bears no loss comes first
+                length = min(whole, size - at, free + self.limits.loss - loss)
+                parts.append([example, start, length, max(0, length - free)])
                 if whole > length:
                     self._push(example, start + length, whole - length, min(all_loss, whole - length))
-                yield Piece(example, start, length, max(0, all_loss - (whole - length)), self.sequences, at)
                 at += length
-                segments += 1
-            rest -= at
+                loss += parts[-1][3]
+            extra = at - (1 << (at.bit_length() - 1))
+            while extra:
+                # A limit ended the sequence early: its end goes back, down to a power of two.
+                example, start, length, own = parts.pop()
+                back = min(extra, length)
+                extra -= back
+                self._push(example, start + length - back, back, min(own, back))
+                if length > back:
+                    parts.append([example, start, length - back, max(0, own - back)])
+            at = 0
+            for example, start, length, own in parts:
+                yield Piece(example, start, length, own, self.sequences, at)
+                at += length
             self.sequences += 1
 
 
@@ -160,9 +175,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keep, self.known, self.pieces = keep, {}, {}
         told = json.loads(self.tokenizer.to_str())
+        # Texts that hold a token added to the vocabulary are coded whole, as it may join or part words.
+        self.added = tuple(x["content"].lower() for x in told.get("added_tokens") or ())
+        self.hint = "" if not self.added else self.added[0][:1] if len({x[:1] for x in self.added}) == 1 else ""
         steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
         cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.pattern = None
@@ -207,7 +224,7 @@ class WordTokenizer:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         out = []
         for text in texts:
-            if any(x in text for x in self.ODD):
+            if any(x in text for x in self.ODD) or (self.added and self.hint in text and any(x in text.lower() for x in self.added)):
                 out += self._encode([text])
                 continue
             words = text.split()
@@ -231,6 +248,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), with_ids: bool = False) -> DataFrame:
     """One row per piece of a document (doc_id, text): ids by the tokenizer, then end_id, packed into sequences.
 
+    A document's first line is its prompt, which bears no loss; the other lines and the end do (of a document of one
+    line, everything does).
+
     Each task packs its own rows, so nothing is shuffled and a lost task is repeated by itself; sequence_id holds the
     task's number in its upper bits. A null or empty text is the end id alone; repeated rows are packed as often as they
     come; an empty table gives no rows; other columns are ignored. with_ids adds the piece's ids.
@@ -278,7 +298,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
             for doc_id, text in zip(ids, texts, strict=True):
                 coded = words.encode([text or ""])[0] + end
                 held[number] = [doc_id, coded, len(coded) // 4]
-                rows(packer.add(number, len(coded) // 4))
+                prompt, line_end, _ = (text or "").partition("\n")
+                rows(packer.add(number, len(coded) // 4, len(coded) // 4 - min(len(coded) // 4 - 1, len(words.encode([prompt])[0]) // 4) if line_end else None))
                 number += 1
             yield batch()
             out = {x: [] for x in names}
