@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import materialize
@@ -130,16 +130,16 @@ def _runs(batches: Iterable[pa.RecordBatch], keys: list[str], columns: list[str]
         yield now, held
 
 
-def render(role: str, text: str) -> str:
-    return f"<|{role}|>\n{text.strip()}\n"
+BLANK = " \t\n\r\x0b\x0c"
 
 
 def parse(lines: DataFrame, model: Model) -> DataFrame:
     """conv_id, turn (the ord of its first line), role, n_lines and rendered, for lines (conv_id, block, ord, line).
 
-    Blocks are runs of lines of bounded size in the order of ord. A turn that goes on in the next block is rendered there
-    as a piece of its own. A null line is blank, a null conv_id is a transcript like any other, lines with the same ord
-    keep the order of their text; a blank transcript is one turn; an empty table gives no rows.
+    Blocks are runs of lines of bounded size in the order of ord; they divide the work only: pieces of a turn that goes on
+    in later blocks are put together. A null line is blank, a null conv_id is a transcript like any other, lines with the
+    same ord keep the order of their text; a blank transcript is one turn; an empty table gives no rows; other columns are
+    ignored.
     """
     spark = lines.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -183,43 +183,61 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for (conv, _), (ords, own, priors, end) in _runs(batches, ["conv_id", "block"], ["ord", "line", "prior", "end"]):
+        for (conv, block), (ords, own, priors, end) in _runs(batches, ["conv_id", "block"], ["ord", "line", "prior", "end"]):
             own = [x or "" for x in own]
             path = viterbi([feature(x) for x in own], model, model.start if priors[0] is None else model.step[priors[0]], end[0])
             out: list[list] = []
             for k, (o, x, state) in enumerate(zip(ords, own, path, strict=True)):
                 role, first = STATES[state]
                 text = marker(x)[1] if first else x
-                if first or not k or out[-1][2] != role:
-                    out.append([conv, o, role, [text]])
+                before = STATES[path[k - 1]][0] if k else None if priors[0] is None else STATES[priors[0]][0]
+                if first or before != role:
+                    out.append([conv, block, o, True, role, [text]])
+                elif not k:
+                    out.append([conv, block, o, False, role, [text]])
                 else:
-                    out[-1][3].append(text)
-            columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out]), pa.array([len(x[3]) for x in out], pa.int64()), pa.array([render(x[2], "\n".join(x[3])) for x in out])]
-            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "role", "n_lines", "rendered"])
-
-    return known.mapInArrow(decode, "conv_id long, turn long, role string, n_lines long, rendered string")
+                    out[-1][-1].append(text)
+            c = list(zip(*out, strict=True))
+            columns = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.bool_()), pa.array(c[4]), pa.array([len(x) for x in c[5]], pa.int64()), pa.array(["\n".join(x) for x in c[5]])]
+            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "block", "ord", "begins", "role", "n_lines", "text"])
+
+    pieces = materialize(known.mapInArrow(decode, "conv_id long, block long, ord long, begins boolean, role string, n_lines long, text string"), "pieces")
+    # A block's first piece may go on with the last turn that began in a block before: one row for each block tells which.
+    starts = pieces.groupBy("conv_id", "block").agg(F.max(F.when(F.col("begins"), F.col("ord"))).alias("began"))
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.last("began", ignorenulls=True).over(earlier).alias("start"))
+    going_on = pieces.filter("NOT begins").join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
+    columns = ("conv_id", "turn", "ord", "n_lines", "text")
+    own = pieces.filter("begins").withColumn("turn", F.col("ord")).select(*columns, "role")
+    rest = going_on.withColumn("turn", F.col("start")).select(*columns, F.lit(None).cast("string").alias("role"))
+    parts = F.sort_array(F.collect_list(F.struct("ord", "text")))
+    turns = own.unionByName(rest).groupBy("conv_id", "turn").agg(F.max("role").alias("role"), F.sum("n_lines").alias("n_lines"), parts.alias("parts"))
+    text = F.btrim(F.array_join(F.transform("parts", lambda x: x["text"]), "\n"), F.lit(BLANK))
+    return turns.select("conv_id", "turn", "role", "n_lines", F.concat(F.lit("<|"), "role", F.lit("|>\n"), text, F.lit("\n")).alias("rendered"))
 
 
 #: How the query writes out a table of turns as transcripts: a style for each conversation.
 STYLES = (("System: ", "User: ", "Assistant: "), ("### Instructions\n", "### Human\n", "### AI\n"), ("[system] - ", "[user] - ", "[assistant] - "), ("Context: ", "Q: ", "A: "), ("<|system|>\n", "<|user|>\n", "<|assistant|>\n"))
 
 
-def transcripts(turns: DataFrame, block: int = 64, unmarked: int = 12) -> DataFrame:
+def transcripts(turns: DataFrame, block: int = 4096, unmarked: int = 12) -> DataFrame:
     """Lines as parse takes them, from turns (conv_id, turn, role, text) written out in one of STYLES; one turn in
-    unmarked has no marker. role, first, state and before say what is true of each line."""
+    unmarked has no marker. Blocks are so many lines each, wherever turns begin. true_turn, role, first, state and before
+    say what is true of each line."""
     role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("user")
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
     marks = F.array(*(F.array(*(F.lit(m) for m in s)) for s in STYLES))
     at = F.array_position(F.array(*(F.lit(r) for r in ROLES)), role).cast("int")
     mark = F.when((F.pmod(F.xxhash64("conv_id", "turn"), F.lit(unmarked)) == 0) & (F.col("turn") > 0), "").otherwise(marks[style][at - 1])
     text: Column = F.concat(mark, F.coalesce("text", F.lit("")))
-    from pyspark.sql import Window
-
-    # Only the role of the turn before is looked at, in the order of turns.
-    before = F.lag(at * 2 - 2 + F.when(F.instr(text, "\n") > 0, 1).otherwise(0)).over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = turns.select("conv_id", "turn", role.alias("role"), at.alias("at"), before.alias("last"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # Turns of a transcript are in the order of turn, equal ones in that of their role and text.
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    lines = F.split(text, "\n")
+    before = F.lag(at * 2 - 2 + F.when(F.size(lines) > 1, 1).otherwise(0)).over(order)
+    begin = F.coalesce(F.sum(F.size(lines)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = turns.select("conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("true_turn"), role.alias("role"), at.alias("at"), before.alias("last"), begin.alias("begin"), F.posexplode(lines).alias("pos", "line"))
     first = F.col("pos") == 0
     state = (F.col("at") - 1) * 2 + F.when(first, 0).otherwise(1)
     prior = F.when(first, F.col("last")).otherwise((F.col("at") - 1) * 2 + F.when(F.col("pos") == 1, 0).otherwise(1))
-    turn = F.coalesce("turn", F.lit(-1))
-    return rows.select("conv_id", F.floor(turn / block).alias("block"), (turn * (1 << 24) + F.col("pos")).alias("ord"), "line", "role", first.alias("first"), state.cast("int").alias("state"), prior.cast("int").alias("before"))
+    ord_ = (F.col("begin") + F.col("pos")).cast("long")
+    return rows.select("conv_id", F.floor(ord_ / block).alias("block"), ord_.alias("ord"), "line", "true_turn", "role", first.alias("first"), state.cast("int").alias("state"), prior.cast("int").alias("before"))
