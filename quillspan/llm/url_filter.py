@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.common import materialize
+
 #: (host and path, verdict) of each rule.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,7 +47,7 @@ def gram_ratios(labelled: DataFrame, wanted: DataFrame) -> DataFrame:
     """gram and ratio (log of the accepted model's probability of its last character over the rejected model's) for
     every gram in wanted; labelled: body and verdict."""
     both = [(c, F.sum(F.when(F.col("verdict") == v, 1).otherwise(0))) for c, v in (("a", "allow"), ("b", "block"))]
-    full = _grams(labelled).groupBy("gram").agg(*(x.alias(c) for c, x in both))
+    full = materialize(_grams(labelled).groupBy("gram").agg(*(x.alias(c) for c, x in both)), "grams")
     kinds = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
     out = wanted.select("gram").distinct()
     for n in range(ORDER, 0, -1):
@@ -64,13 +66,14 @@ def gram_ratios(labelled: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.select("gram", (F.log(p["a"]) - F.log(p["b"])).alias("ratio"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, small: int = 8 << 20) -> DataFrame:
     """page_id, host, path, rule, verdict, score and threshold, one row per row of pages (page_id, url).
 
     A quarter of the URLs that rules decide (by md5) calibrates, the others are learned from. URLs are allowed where the
     score is the threshold or more; without both kinds among either part, the threshold is 0 (with no model at all,
     every score is 0: allowed). Nulls and URLs without :// have an empty host and path and an empty text for the models;
-    null ids and repeated rows are kept as they are; an empty table gives no rows; other columns are ignored.
+    null ids and repeated rows are kept as they are; an empty table gives no rows; other columns are ignored. small: bytes
+    that are broadcast at most; a larger table of ratios is joined by an exchange, with the same result.
     """
     host, path, body = parts()
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path"), body.alias("body"))
@@ -82,8 +85,10 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     bodies = urls.select("body").distinct()
     grams = _grams(bodies)
     labelled = urls.filter("says IS NOT NULL").select("body", F.col("says").alias("verdict"))
-    ratios = gram_ratios(labelled.filter(~fold), grams)
-    scores = grams.join(ratios, "gram").groupBy("body").agg((F.sum("ratio") / F.count("*")).alias("score"))
+    ratios = materialize(gram_ratios(labelled.filter(~fold), grams), "ratios")
+    # 64 bytes hold a gram and its ratio: a small table is broadcast, so that grams of a URL are added up where they are.
+    ratios = F.broadcast(ratios) if 64 * ratios.count() <= small else ratios
+    scores = materialize(grams.join(ratios, "gram").groupBy("body").agg((F.sum("ratio") / F.count("*")).alias("score")), "scores")
     held = labelled.filter(fold).join(scores, "body")
     stat = {}
     for v, n in (("allow", "a"), ("block", "b")):
