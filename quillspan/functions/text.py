@@ -18,10 +18,16 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), "^[ \n]+|[ \n]+$", "")
 
 
+_EDGE = r"[\p{L}\p{N}_]"
+#: A word that is no stop word: the choice is made by the pattern, so no array has to be filtered afterwards.
+TERM = rf"(?<!{_EDGE})(?!(?:{'|'.join(STOP)})(?!{_EDGE})){_EDGE}+"
+
+
 def terms(text: Column) -> Column:
     """Search terms: lower case, digits without thousands commas, no stop words; repeats are kept."""
-    plain = F.regexp_replace(F.lower(text), "([0-9]),(?=[0-9]{3})", "$1")
-    return F.filter(F.regexp_extract_all(plain, F.lit(WORD), 0), lambda w: ~w.isin(*STOP))
+    low = F.lower(text)
+    plain = F.when(F.rlike(low, F.lit("[0-9],[0-9]{3}")), F.regexp_replace(low, "([0-9]),(?=[0-9]{3})", "$1")).otherwise(low)
+    return F.regexp_extract_all(plain, F.lit(TERM), F.lit(0))
 
 
 def words(text: Column) -> Column:

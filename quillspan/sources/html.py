@@ -16,12 +16,13 @@ BLOCK = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "sect
 
 
 class _Pages(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.pages: list[list[str]] = [[]]
-        self.stack: list[tuple[str, bool, bool]] = []
-        self.line: list[str] = []
-        self.cells: list[str] | None = None
+    """line: what the line being read holds so far; cells: those of the table row being read, None outside of rows; stack:
+    the tags that are open, with whether they are hidden and whether a page ends after them."""
+
+    def __init__(self, **options) -> None:
+        self.line, self.cells = [], None
+        self.stack, self.pages = [], [[]]
+        super().__init__(**options)
 
     def _end_line(self) -> None:
         text = re.sub(r"[ \t\r\n\f\xa0]+", " ", "".join(self.line).replace("​", "")).strip()
@@ -64,7 +65,7 @@ class _Pages(HTMLParser):
             self._end_line()
         if tag == "tr" and self.cells is not None:
             self._end_line()
-            row, self.cells = " | ".join(self.cells), None
+            row, self.cells = re.sub(r"\$ (?=[0-9(])", "$", " ".join(self.cells)), None
             if row:
                 self.pages[-1].append(row)
         if any(after and not hidden for _, hidden, after in closed):
@@ -76,7 +77,7 @@ class _Pages(HTMLParser):
 
 
 def html_pages(html: str | None) -> list[str]:
-    parser = _Pages()
+    parser = _Pages(convert_charrefs=True)
     parser.feed(html or "")
     parser.close()
     parser._end_line()
