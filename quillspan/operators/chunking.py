@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import clean, units
+from quillspan.functions.text import clean, units, words
 
 
 def pack(sizes: Sequence[int], target: int, overlap: int) -> list[tuple[int, int]]:
@@ -50,3 +50,11 @@ def chunks(docs: DataFrame, target: int = 120, overlap: int = 20, least: int = 5
             yield pd.DataFrame(rows, columns=["chunk_id", "doc_id", "chunk_no", "n_tokens", "text"])
 
     return ready.mapInPandas(run, "chunk_id string, doc_id long, chunk_no int, n_tokens int, text string")
+
+
+def word_windows(docs: DataFrame, size: int = 260, least: int = 30) -> DataFrame:
+    """doc_id, chunk_no (from 0), n_tokens and text of windows of so many words, those of fewer than least left out."""
+    w = docs.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int")), lambda k: F.slice("w", k * size + 1, F.lit(size)))
+    out = w.select("doc_id", F.posexplode(cut).alias("chunk_no", "own")).filter(F.size("own") >= least)
+    return out.select("doc_id", "chunk_no", F.size("own").alias("n_tokens"), F.array_join("own", " ").alias("text"))

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators import answers, metadata, retrieval, stages
+from quillspan.operators import answers, evaluation, metadata, retrieval, stages
 from quillspan.plans import config as C
 from quillspan.plans.shared import settle
 
@@ -178,3 +178,21 @@ class Engine:
             plain = rows.select("id", F.col("answer").alias("text"), "refused", F.lit(False).alias("checked"), F.array().cast("array<string>").alias("reasons"), F.lit(None).cast("string").alias("original"))
             checked = plain.join(answers.check_citations(plain, covered), "id")
         return checked.join(rows.select("id", "verdict", "evidence", "widened", F.transform("passages", lambda x: x["chunk_id"]).alias("chunk_ids")), "id")
+
+    def info(self, questions: DataFrame, n: int = 50) -> DataFrame:
+        """One row: documents, chunks, the companies by name, and up to n of the questions, picked by a seeded hash."""
+        picked = evaluation.sample(questions, n).agg(F.array_sort(F.collect_list("id")).alias("examples"))
+        counts = self.chunks.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.array_sort(F.collect_set(F.nullif("company", F.lit("")))).alias("companies"))
+        return counts.select("*", picked.scalar().alias("examples"))
+
+    def baseline(self, questions: DataFrame, most: int = 600) -> DataFrame:
+        """Answers from the beginning of the right document alone (id, question, doc_id), up to so many tokens."""
+        own = stages.context_budget(self.chunks.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "chunk_no")).alias("chunk_no"), "page", "text"), most)
+        parts = own.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "text", "page"))), lambda x: F.struct(x["text"].alias("text"), x["page"].alias("page"))).alias("passages"))
+        return self.generator.generate(questions.join(parts, "doc_id")).select("id", "answer", "refused")
+
+
+def chunk_view(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """Chunks as they are shown: their metadata, the score of a search, and whether they took a reserved slot."""
+    seen = hits.select("chunk_id", F.col("prob").alias("score"), "slot").dropDuplicates(["chunk_id"])
+    return chunks.join(seen, "chunk_id", "left").select("chunk_id", "doc_id", "page", "chunk_type", "company", "year", "section", "score", F.coalesce("slot", F.lit(False)).alias("statement_slot"), "text")

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
-from quillspan.operators import answers, evaluation, metadata, stages, tables
+from quillspan.operators import answers, chunking, evaluation, metadata, stages, tables
 from quillspan.plans import config as C
 from quillspan.plans.catalog import _FILINGS, _QUERIES, _SQL, query, table
 from quillspan.plans.engine import VARIANTS, Engine
 from quillspan.plans.shared import settle
-from quillspan.sources import html
+from quillspan.sources import files, html
 
 QUERIES, SQL = _QUERIES, _SQL
 Y = _FILINGS.replace("{", "").replace("}", "")
@@ -486,3 +486,33 @@ def ask(spark, sf_dir):
     """Questions about the filings all the way to checked answers."""
     out = engine(spark, sf_dir).ask(questions(spark, sf_dir), VARIANTS["verified"])
     return out.select("id", "text", "refused", "verdict", "widened", F.size("citations").alias("cited"), F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+@query("SELECT count(DISTINCT n_name) AS documents, string_agg(n_name, ',' ORDER BY n_name) AS companies, (SELECT count(*) FROM (SELECT DISTINCT n_name, CASE WHEN year(o_orderdate) <= 1998 THEN 1 ELSE 2 END FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)) + 2 * count(*) AS chunks, least(50, (SELECT count(*) FROM supplier)) AS examples FROM nation")
+def info(spark, sf_dir):
+    out = engine(spark, sf_dir).info(questions(spark, sf_dir))
+    return out.select("documents", F.array_join("companies", ",").alias("companies"), "chunks", F.size("examples").cast("long").alias("examples"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, 'Consolidated statements of income [p. 1]' AS answer, false AS refused FROM nation")
+def baseline_answers(spark, sf_dir):
+    """Answers from the beginning of the right filing: its table of contents comes first and names the statements."""
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("consolidated statements of income").alias("question"), F.col("n_name").alias("doc_id"))
+    return engine(spark, sf_dir).baseline(asked, 9)
+
+
+@query(r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '') AS w FROM documents), k AS (SELECT doc_id, w, unnest(generate_series(0, (len(w) - 1) // 260)) AS chunk_no FROM w WHERE len(w) > 0), c AS (SELECT doc_id, chunk_no, w[chunk_no * 260 + 1 : chunk_no * 260 + 260] AS own FROM k) SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(len(own) AS INTEGER) AS n_tokens, md5(array_to_string(own, ' ')) AS digest FROM c WHERE len(own) >= 30")
+def word_windows(spark, sf_dir):
+    return chunking.word_windows(table(spark, sf_dir, "documents")).select("doc_id", "chunk_no", "n_tokens", F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def unmatched_docs(spark, sf_dir):
+    """Documents that no label is there for: those left to do."""
+    return files.not_done(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id AS id FROM labels JOIN documents USING (doc_id) WHERE toxic = 1")
+def split_rows(spark, sf_dir):
+    split = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "dev").otherwise("test").alias("split"))
+    return files.rows_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), files.check_split(split), "dev")
