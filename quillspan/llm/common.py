@@ -81,9 +81,10 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
 
 
-def filter_rows(docs: DataFrame, keep, columns: tuple[str, ...]) -> DataFrame:
-    """The rows of docs for which keep says so, row by row and without any exchange. keep takes the batch's lists of
-    columns and returns booleans; whatever other columns there are pass through."""
+def filter_rows(docs: DataFrame, keep, columns: tuple[str, ...], step: int = 256) -> DataFrame:
+    """The rows of docs for which keep says so, row by row and without any exchange. keep takes lists of the columns of step
+    rows and returns booleans; whatever other columns there are pass through. A batch is gone through in such steps, so
+    that a worker holds few texts beside the batch, and what it has no use for goes back at the task's end."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -92,8 +93,11 @@ def filter_rows(docs: DataFrame, keep, columns: tuple[str, ...]) -> DataFrame:
     schema = to_arrow_schema(plain.schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mask = pa.array(keep(*(b.column(k).to_pylist() for k in at)), pa.bool_())
-            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(b.filter(mask).columns, schema, strict=True)], schema=schema)
+        for whole in batches:
+            for first in range(0, whole.num_rows, step):
+                b = whole.slice(first, step)
+                mask = pa.array(keep(*(b.column(k).to_pylist() for k in at)), pa.bool_())
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(b.filter(mask).columns, schema, strict=True)], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

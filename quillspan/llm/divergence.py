@@ -131,7 +131,7 @@ def references(docs: DataFrame, settings: Settings = Settings()) -> References:
                 if lang not in classes:
                     classes[lang] = np.zeros(len(CLASSES), np.int64)
                 classes[lang] += class_counts(raw)
-            if sum(map(len, words.values())) > 600_000:
+            if sum(map(len, words.values())) > 200_000:
                 yield flush()
         yield flush()
 
