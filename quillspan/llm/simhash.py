@@ -305,9 +305,9 @@ def shingle_levels(docs: DataFrame, size: int, slots: int) -> np.ndarray:
     return levels
 
 
-def similar_pairs(docs: DataFrame, overlap: float = 0.8, size: int = 5, slots: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs as doc_id and node (their set of shingles), and the links a-b of all nodes whose sets have a
-    Jaccard similarity of overlap or more.
+def similar_pairs(docs: DataFrame, overlap: float = 0.8, size: int = 5, slots: int = 1 << 20, prints: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as doc_id, h (a hash of the text), node (their set of shingles) and fp (their fingerprint, null
+    without prints), and the links a-b of all nodes whose sets have a Jaccard similarity of overlap or more.
 
     The join is exact: shingles are ordered by rarity, sets that similar share one among their first
     n - ceil(overlap n) + 1, of the shorter set among even fewer; what meets there is verified on the whole sets.
@@ -317,17 +317,18 @@ def similar_pairs(docs: DataFrame, overlap: float = 0.8, size: int = 5, slots: i
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, firsts, fps = [], [], [], []
             for text in b.column("text").to_pylist():
+                fps.append(int(np.uint64(fingerprint(text)).view(np.int64)) if prints else None)
                 h = shingle_set(text, size)
                 nodes.append(_set_hash(h))
                 sizes.append(len(h))
                 order = np.lexsort((h, levels.value[(h % np.uint64(slots)).astype(np.int64)]))
                 firsts.append(h[order[: len(h) - int(np.ceil(t * len(h) - 1e-9)) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "n", "first"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=["doc_id", "h", "node", "n", "first", "fp"])
 
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    sets = materialize(texts.mapInArrow(prefixes, "doc_id long, h long, node long, n int, first array<long>"), "shingles")
+    sets = materialize(texts.mapInArrow(prefixes, "doc_id long, h long, node long, n int, first array<long>, fp long"), "shingles")
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
     rows = sets.select("node", "n", F.posexplode("first").alias("at", "shingle")).select("shingle", "node", packed.alias("size"))
     rows = rows.repartition("shingle").groupBy("shingle", "node").agg(F.min("size").alias("size"))
@@ -355,12 +356,26 @@ def similar_pairs(docs: DataFrame, overlap: float = 0.8, size: int = 5, slots: i
     good = shared * (1 + t) >= t * (F.size("sa") + F.size("sb")) - 1e-9
     links = materialize(pairs.join(x, "a").join(y, "b").filter(good).select("a", "b"), "links")
     release(pairs, found)
-    return sets.select("doc_id", "h", "node"), links
-
-
-def _similar_rows(docs: DataFrame, size: int, overlap: float) -> DataFrame:
-    """doc_id, h (a hash of the text) and root, the same for all rows of a group."""
-    rows, pairs = similar_pairs(docs, overlap, size)
+    return sets.select("doc_id", "h", "node", "fp"), links
+
+
+def print_pairs(rows: DataFrame, radius: int) -> DataFrame:
+    """Links a-b of nodes (rows: node, fp) by their fingerprints, which have the components of all those within the radius:
+    the nodes of a fingerprint are linked to the least of them, and those of near fingerprints to each other."""
+    own = materialize(rows.select("node", "fp").distinct(), "prints")
+    least = own.groupBy("fp").agg(F.min("node").alias("least"))
+    same = own.join(least, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    at = lambda k: least.select(F.col("fp").alias(k), F.col("least").alias(f"least_{k}"))
+    near = links(least.select("fp"), radius).join(at("a"), "a").join(at("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    return materialize(same.union(near), "print-links")
+
+
+def _similar_rows(docs: DataFrame, size: int, overlap: float, radius: int | None = None) -> DataFrame:
+    """doc_id, h (a hash of the text) and root, the same for all rows of a group. With a radius, texts whose fingerprints
+    are within it are linked too."""
+    rows, pairs = similar_pairs(docs, overlap, size, prints=radius is not None)
+    if radius is not None:
+        pairs = pairs.union(print_pairs(rows, radius))
     labels = components(pairs).withColumnRenamed("node", "at")
     return rows.join(labels, rows.node == labels.at, "left").select("doc_id", "h", F.coalesce("label", "node").alias("root"))
 
@@ -377,13 +392,17 @@ def similar_groups(docs: DataFrame, size: int = 5, overlap: float = 0.8) -> Data
     return rows.join(ids, "root").select("doc_id", "component_id")
 
 
-def drop_similar(docs: DataFrame, size: int = 5, overlap: float = 0.8, small: int = 8 << 20) -> DataFrame:
-    """docs without all but one row of each group of similar_groups: the row with the smallest doc_id stays (a null one
-    only if there is no other), of equal ids that with the smallest hash of its text, and of repeated rows one.
+def drop_similar(docs: DataFrame, size: int = 5, overlap: float = 0.8, small: int = 8 << 20, radius: int | None = 2) -> DataFrame:
+    """docs without all but one row of each group: the row with the smallest doc_id stays (a null one only if there is no
+    other), of equal ids that with the smallest hash of its text, and of repeated rows one.
+
+    Texts are linked where their SimHash fingerprints differ in radius bits or fewer, as in near_groups (None: not by
+    these), and where their shingle sets overlap by overlap or more, as in similar_groups: fingerprints alone miss copies
+    with some changes.
 
     Rows are told by id and text, so rows without an id, or with the same one, are judged each by itself.
     """
-    rows = materialize(_similar_rows(docs, size, overlap), "rows")
+    rows = materialize(_similar_rows(docs, size, overlap, radius), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     first = rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     gone = rows.join(first, "root").filter(order != F.col("first")).select("doc_id", "h").distinct()
