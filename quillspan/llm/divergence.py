@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import filter_rows, materialize
+from quillspan.llm.common import filter_rows, give_back, materialize, sliced
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "line", "point", "mark", "other")
@@ -124,7 +124,7 @@ def references(docs: DataFrame, settings: Settings = Settings()) -> References:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "kind", "item", "n"])
 
-        for b in batches:
+        for b in sliced(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 words.setdefault(lang, Counter()).update(raw.lower().split())
@@ -134,6 +134,7 @@ def references(docs: DataFrame, settings: Settings = Settings()) -> References:
             if sum(map(len, words.values())) > 200_000:
                 yield flush()
         yield flush()
+        give_back()
 
     counted = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(count, "lang string, kind int, item string, n long")
     counted = materialize(counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "words")

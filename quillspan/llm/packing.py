@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillspan.llm.common import sliced
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -203,7 +205,8 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         if len(self.known) > self.keep:
             self.known.clear()
-        if len(self.pieces) > self.keep:
+        # Nearly each new word has a new piece, so old pieces other than the frequent ones are hardly asked for again.
+        if len(self.pieces) > self.keep // 16:
             self.pieces.clear()
         odd = []
         for w in words:
@@ -293,7 +296,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
             return pa.RecordBatch.from_arrays([pa.array(out[x], k) for x, k in zip(names, kinds, strict=True)], names=names)
 
         out: dict[str, list] = {x: [] for x in names}
-        for b in batches:
+        for b in sliced(batches):
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for doc_id, text in zip(ids, texts, strict=True):
                 coded = words.encode([text or ""])[0] + end

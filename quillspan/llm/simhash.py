@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import materialize, release
+from quillspan.llm.common import materialize, release, sliced
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -292,7 +292,7 @@ def shingle_levels(docs: DataFrame, size: int, slots: int) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             found = [shingle_set(x, size) for x in b.column("text").to_pylist()]
             total += np.bincount((np.concatenate([np.zeros(0, np.uint64), *found]) % np.uint64(slots)).astype(np.int64), minlength=slots)
         at = np.flatnonzero(total)
@@ -316,7 +316,7 @@ def similar_pairs(docs: DataFrame, overlap: float = 0.8, size: int = 5, slots: i
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, size, slots))
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             nodes, sizes, firsts, fps = [], [], [], []
             for text in b.column("text").to_pylist():
                 fps.append(int(np.uint64(fingerprint(text)).view(np.int64)) if prints else None)
@@ -345,7 +345,7 @@ def similar_pairs(docs: DataFrame, overlap: float = 0.8, size: int = 5, slots: i
     hashes = sets.groupBy("node").agg(F.min("h").alias("h")).join(wanted, "node", "left_semi").select("h")
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [shingle_set(x, size) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_set_hash(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
