@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import materialize, release, sliced
+from quillspan.llm.common import drop_exchanges, materialize, release, sliced
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -329,6 +329,7 @@ def similar_pairs(docs: DataFrame, overlap: float = 0.8, size: int = 5, slots: i
 
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     sets = materialize(texts.mapInArrow(prefixes, "doc_id long, h long, node long, n int, first array<long>, fp long"), "shingles")
+    drop_exchanges(docs.sparkSession)  # that of the levels
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
     rows = sets.select("node", "n", F.posexplode("first").alias("at", "shingle")).select("shingle", "node", packed.alias("size"))
     rows = rows.repartition("shingle").groupBy("shingle", "node").agg(F.min("size").alias("size"))
@@ -341,6 +342,7 @@ def similar_pairs(docs: DataFrame, overlap: float = 0.8, size: int = 5, slots: i
     fits &= F.col("n_b") >= t * F.col("n_a") - 1e-9
     fits &= F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need
     pairs = materialize(x.join(y, "shingle").filter(fits).select("a", "b").distinct(), "candidates")
+    drop_exchanges(docs.sparkSession)  # those of the prefixes
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     hashes = sets.groupBy("node").agg(F.min("h").alias("h")).join(wanted, "node", "left_semi").select("h")
 
@@ -351,6 +353,7 @@ def similar_pairs(docs: DataFrame, overlap: float = 0.8, size: int = 5, slots: i
 
     found = texts.join(hashes, "h", "left_semi").dropDuplicates(["h"]).select("text").mapInArrow(whole, "node long, shingles array<long>")
     found = materialize(found, "whole")
+    drop_exchanges(docs.sparkSession)
     x, y = (found.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     shared = F.size(F.array_intersect("sa", "sb"))
     good = shared * (1 + t) >= t * (F.size("sa") + F.size("sb")) - 1e-9
