@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.holders import holders
+
 YEARS = r"(?<![0-9])(19[89][0-9]|20[0-4][0-9])(?![0-9])"
 NOISE = r"(?i)^(table of contents|index|item [0-9]+[a-c]?\.?|part [iv]+|[0-9]+)$"
 
@@ -229,25 +231,16 @@ def text_hash(text: Column) -> Column:
 
 def evidence_owners(excerpts: DataFrame, filings: DataFrame, size: int = 40) -> DataFrame:
     """id, doc_id and pages of excerpts (id, text) that one filing alone holds: of the probes of an id, two and two thirds
-    must be in its pages (doc_id, page, text). Probes and pages meet by the pieces of that size, one hash each, in pages
-    whose pieces are asked for."""
+    must be in its pages (doc_id, page, text). Pages are gone through once, for all probes together, where they are."""
     asked = excerpts.select("id", F.explode(probes(F.col("text"), size)).alias("probe"))
     need = asked.groupBy("id").agg(F.greatest(F.lit(2), F.floor(F.count("*") * 2 / 3)).alias("need"))
-    wanted = asked.select("probe").distinct()
-    body = filings.select("doc_id", "page", norm(F.col("text")).alias("b"))
-    pieces = body.select("doc_id", "page", F.explode(F.expr(f"array_distinct(transform(sequence(1, greatest(length(b) - {size - 1}, 1)), i -> substring(b, i, {size})))")).alias("probe"))
-    met = pieces.join(F.broadcast(wanted) if _few(wanted) else wanted, "probe", "left_semi")
+    met = holders(filings.select("doc_id", "page", "text"), asked.select("probe"), squeeze=True)
     hits = asked.join(met, "probe").groupBy("id", "doc_id", "page").agg(F.collect_set("probe").alias("found"))
     per = hits.groupBy("id", "doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n"), F.array_sort(F.collect_set("page")).alias("pages"))
     good = per.join(need, "id").filter("n >= need")
     return good.groupBy("id").agg(F.count("*").alias("owners"), F.min(F.struct("doc_id", "pages")).alias("o")).filter("owners = 1").select("id", "o.doc_id", "o.pages")
 
 
-def _few(df: DataFrame, most: int = 50_000) -> bool:
-    """Whether a table of short strings has few rows, so that it may be broadcast (some MB at most)."""
-    return df.count() <= most
-
-
 def page_base_votes(excerpts: DataFrame, filings: DataFrame) -> DataFrame:
     """vote and n for excerpts (id, doc_id, n, text): whether the excerpt's first 60 letters and digits are on page n + 1
     (0-based), on page n (1-based), on both or on neither; those of fewer than 30 do not vote."""
