@@ -35,3 +35,12 @@ def test_one_tile_at_a_time():
     ids, keys, _ = (np.concatenate(c) for c in zip(*rows))
     for q in (0, 5_000, 11_999):
         assert set(keys[ids == q]) == set(np.argsort(-(vectors.astype(np.float64) @ questions[q]))[:5])
+
+
+def test_filtered_search_through_the_same_tiles(spark):
+    rows = [(k, [float(k % 5), 1.0], k % 2) for k in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "query_id long, embedding array<float>")
+    out = retrieval.dense(vectors.filter("label = 1"), asked, 3)
+    assert {(r.query_id, r.vec_id, r.rank) for r in out.collect()} == {(1, 9, 1), (1, 19, 2), (1, 29, 3), (2, 5, 1), (2, 15, 2), (2, 25, 3)}
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
