@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.operators import chunking, retrieval
+from quillspan.operators.holders import holders
 from quillspan.sources import html
 from quillspan.streaming import ingest
 
@@ -82,16 +83,10 @@ g AS (SELECT item_id, coalesce(min(rank), 999999) AS best FROM gold LEFT JOIN r
 
 @query(_BM25 + _HIT + "SELECT count(*) AS questions, round(avg((best <= 1)::INT), 6) AS hit1, round(avg((best <= 5)::INT), 6) AS hit5, round(avg((best <= 10)::INT), 6) AS hit10 FROM g")
 def retrieval_metrics(spark, sf_dir):
-    """Questions whose evidence is known: documents that hold the item. Found by the item's rarest term, then verified."""
+    """Questions whose evidence is known: documents that hold the item. All items are looked for in one pass over the texts."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    rare = items.select("item_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).join(retrieval.bm25_stats(docs).select("term", "df"), "term")
-    # Words at the ends of an item may be parts of longer ones in a document; the rarest inner term is not.
-    terms = items.withColumn("terms", T.terms(F.col("text")))
-    inner = terms.select("item_id", F.explode(F.slice("terms", F.lit(2), F.greatest(F.size("terms") - 2, F.lit(0)))).alias("term"))
-    probe = rare.join(inner.distinct(), ["item_id", "term"]).groupBy("item_id").agg(F.min(F.struct("df", "term")).alias("p")).select("item_id", "p.term")
-    # Only the probes' occurrences leave the scan.
-    near = docs.select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).join(probe, "term").select("item_id", "doc_id")
-    gold = near.join(items, "item_id").join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id").filter(F.contains("whole", "text")).select("item_id", "doc_id")
+    held = holders(docs.select("doc_id", "text"), items.select(F.col("text").alias("item")))
+    gold = held.join(items.select("item_id", F.col("text").alias("item")), "item").select("item_id", "doc_id")
     found = gold.join(retrieval.bm25(docs, items), ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.coalesce(F.min("rank"), F.lit(999999)).alias("best"))
     hit = lambda k: F.round(F.avg((F.col("best") <= k).cast("int")), 6).alias(f"hit{k}")
     return found.agg(F.count("*").alias("questions"), hit(1), hit(5), hit(10))
