@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as T
 from quillspan.operators import chunking, retrieval
 from quillspan.operators.holders import holders
+from quillspan.plans.shared import settle
 from quillspan.sources import html
 from quillspan.streaming import ingest
 
@@ -140,8 +141,9 @@ def boost_rank(spark, sf_dir):
 o AS (SELECT item_id, doc_id, min({'t': tier, 'p': pos}) AS spot FROM e GROUP BY ALL), n AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY spot, doc_id) AS slot FROM o) SELECT * FROM n WHERE slot <= 5""")
 def reserved_slots(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    extras = retrieval.bm25(docs, items, top=2, where=F.col("lang") == "en").withColumnRenamed("rank", "pos")
-    return retrieval.reserve_slots(retrieval.bm25(docs, items), extras, "item_id", "doc_id", 3, 5)
+    lists = settle(retrieval.bm25_lists(docs, items, [F.lit(True), F.col("lang") == "en"]))  # read twice
+    extras = lists.filter("list_id = 1 AND rank <= 2").withColumnRenamed("rank", "pos")
+    return retrieval.reserve_slots(lists.filter("list_id = 0"), extras, "item_id", "doc_id", 3, 5)
 
 
 @query(_BM25 + """, m AS (SELECT b.item_id, coalesce(max(score), 0) AS evidence FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id GROUP BY 1)
