@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
@@ -222,12 +222,11 @@ def event_windows(spark, sf_dir):
 @query(_BM25 + """, e AS (SELECT b.item_id, coalesce(max(score), 0) < 150 AS widened FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id GROUP BY 1)
 SELECT item_id, doc_id, score, rank, widened FROM r JOIN e USING (item_id) WHERE rank <= CASE WHEN widened THEN 20 ELSE 10 END""")
 def widen_once(spark, sf_dir):
-    """Questions whose evidence is not sufficient are searched once more, twice as deep; the others stay as they are."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    gate = gate_verdict(spark, sf_dir).select("item_id", "widen")
-    again = items.join(gate.filter("widen"), "item_id", "left_semi")
-    first = retrieval.bm25(docs, items).join(gate.filter("NOT widen"), "item_id", "left_semi").withColumn("widened", F.lit(False))
-    return first.unionByName(retrieval.bm25(docs, again, top=20).withColumn("widened", F.lit(True)))
+    """Questions whose evidence is not sufficient are searched once more, twice as deep; the others stay as they are. The
+    deeper search holds the first one, so one is made and cut where the evidence suffices."""
+    deep = retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+    best = F.max("score").over(Window.partitionBy("item_id"))
+    return deep.withColumn("widened", best < 150).filter((F.col("rank") <= 10) | F.col("widened"))
 
 
 @query("SELECT n_nationkey, n_name || ' & Co' AS name, CAST(2000 + n_nationkey AS VARCHAR) AS year FROM nation")
