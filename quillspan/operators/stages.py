@@ -63,6 +63,11 @@ class Generator(ABC):
         """asked (id, question, passages: array of text and page) with answer and refused."""
 
 
+def own_terms(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(terms(text))
+
+
 def sigmoid(score: Column) -> Column:
     return 1 / (1 + F.exp(-score))
 
@@ -148,10 +153,11 @@ class VectorRetriever(Retriever):
 
 
 class CoverageReranker(Reranker):
-    """The share of the question's terms that the text holds."""
+    """The share of the question's terms that the text holds. Terms are dear to make: where pairs have them already
+    (question_terms, text_terms; made once for each question and text), those are taken."""
 
     def score(self, pairs: DataFrame) -> DataFrame:
-        asked, own = F.array_distinct(terms(F.col("question"))), F.array_distinct(terms(F.col("text")))
+        asked, own = (F.col(f"{c}_terms") if f"{c}_terms" in pairs.columns else own_terms(F.col(c)) for c in ("question", "text"))
         share = F.size(F.array_intersect(asked, own)) / F.nullif(F.size(asked), F.lit(0))
         return pairs.withColumn("prob", F.round(F.coalesce(share, F.lit(0.0)), 6))
 

@@ -127,7 +127,9 @@ class Engine:
             extras = settle(metadata.statement_lookup(wanted, pages, self.get("statements.slots")))
             # Pages that are no candidates yet come after all of them.
             fused = fused.unionByName(extras.join(fused, ["id", "chunk_id"], "left_anti").select("id", "chunk_id", (F.col("pos") + (1 << 20)).alias("prior")))
-        pairs = fused.join(tags.drop("kinds"), "id").join(self.chunks.select("chunk_id", "text", "chunk_type", "company", "year", "section"), "chunk_id")
+        # Terms are made before the joins: once for each question and chunk, not for each pair.
+        asked = tags.drop("kinds").withColumn("question_terms", stages.own_terms(F.col("question")))
+        pairs = fused.join(asked, "id").join(self.chunks.select("chunk_id", "text", "chunk_type", "company", "year", "section", stages.own_terms(F.col("text")).alias("text_terms")), "chunk_id")
         scored = self.reranker.score(pairs)
         boost = metadata.boost_factor(metadata.tag_matches(self.get("tags.confidence"), self.get("tags.synonyms"), self.get("tags.intents")), self.get("tags.boost")) if side else F.lit(1.0)
         base = F.col("prob") if variant.reranker else F.lit(1.0) / F.col("prior")
